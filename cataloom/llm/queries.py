@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.workspace import table
-from cataloom.llm import clusters, neighbours, pairs
+from cataloom.llm import clusters, neighbours, pairs, toxic
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.scene_groups(table(spark, sf_dir, "recommendations"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p7_found)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.toxic_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.toxic_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p7_found, p10_found, p10_rates)}
 
 SQL = {
     "p7_found": """
