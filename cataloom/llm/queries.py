@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.workspace import table
-from cataloom.llm import clusters, neighbours, pairs, toxic
+from cataloom.llm import clusters, leakage, mixing, neighbours, pairs, toxic
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,26 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.scene_groups(table(spark, sf_dir, "recommendations"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxic_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +57,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxic_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p7_found, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p7_found, p8_found, p8_items, p9_found, p9_shares, p9_plan, p10_found, p10_rates)}
 
 SQL = {
     "p7_found": """
