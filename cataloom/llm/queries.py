@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.workspace import table
-from cataloom.llm import clusters, leakage, mixing, neighbours, pairs, toxic
+from cataloom.llm import clusters, leakage, mixing, names, neighbours, pairs, toxic
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,14 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "scene_face_embeddings"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.same_person_pairs(table(spark, sf_dir, "search_performer"), table(spark, sf_dir, "performer_snapshot"))
+
+
+def p5_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.same_person(table(spark, sf_dir, "search_performer"), table(spark, sf_dir, "performer_snapshot"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.scene_groups(table(spark, sf_dir, "recommendations"))
 
@@ -57,7 +65,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxic_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p7_found, p8_found, p8_items, p9_found, p9_shares, p9_plan, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p5_found, p5_persons, p7_found, p8_found, p8_items, p9_found, p9_shares, p9_plan, p10_found, p10_rates)}
 
 SQL = {
     "p7_found": """
