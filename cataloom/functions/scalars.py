@@ -98,7 +98,7 @@ def confidence_of(distance: Column) -> Column:
 def yaw_factor(yaw: Column) -> Column:
     """Multiplier of a confidence for a turned face: 1 up to 45 degrees, falling to one half at 90."""
     turn = F.least(F.abs(yaw), F.lit(90.0))
-    return F.when(turn.isNull() | (turn <= 45), 1.0).otherwise(1 - (turn - 45) / 45 * 0.5)
+    return F.when(yaw.isNull() | (turn <= 45), 1.0).otherwise(1 - (turn - 45) / 45 * 0.5)
 
 
 def version_parts(c: Column) -> Column:

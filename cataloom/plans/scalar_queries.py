@@ -88,11 +88,10 @@ def _(t):
     return a.join(b, F.col("id_a") + 1 == F.col("id_b")).select("id_a", "id_b", F.round(S.cosine_distance(F.col("va"), F.col("vb")), 6).alias("distance"))
 
 
-@q.add("k2_yaw_penalty", "select id, confidence * case when yaw is null or least(abs(yaw), 90e0) <= 45e0 then 1e0 else 1e0 - (least(abs(yaw), 90e0) - 45e0) / 45e0 * 0.5e0 end as confidence, 1e0 - confidence * case when yaw is null or least(abs(yaw), 90e0) <= 45e0 then 1e0 else 1e0 - (least(abs(yaw), 90e0) - 45e0) / 45e0 * 0.5e0 end as distance from (select distinct id, confidence, yaw from scene_face_embeddings)")
+@q.add("k2_yaw_penalty", "select id, case when yaw is null or abs(yaw) <= 45 then 1000 else cast(floor(1000 - (least(abs(yaw), 90) - 45) / 45 * 500 + 1e-6) as bigint) end as permille from (select distinct id, yaw from scene_face_embeddings)")
 def _(t):
-    f = t("scene_face_embeddings").select("id", "confidence", "yaw").distinct()
-    c = F.col("confidence") * S.yaw_factor(F.col("yaw"))
-    return f.select("id", c.alias("confidence"), (1 - c).alias("distance"))
+    f = t("scene_face_embeddings").select("id", "yaw").distinct()
+    return f.select("id", F.floor(S.yaw_factor(F.col("yaw")) * 1000 + 1e-6).cast("long").alias("permille"))
 
 
 @q.add("f19_confidences", "select match_id, greatest(0, least(1, 1 - distance)) as confidence from (select distinct match_id, distance from performer_match where distance is not null)")
