@@ -4,9 +4,9 @@ Upper level: a bounded sample is bisected (largest dispersion first) into
 cells; every row is routed to its cell. Lower level: each cell is bisected
 further on all of its rows until every leaf is compact. A cut may run through a
 set of similar rows, so leaves are then reunited: a leaf visits the other cells
-in the order of their likeness to it (best bin first), as many as a calibration
-found necessary, and is linked to each leaf there whose medoid lies within the
-limit.
+in the order of their likeness to it (best bin first) until they are less alike
+than its own by more than a calibrated slack, and is linked to each leaf there
+whose medoid lies within the limit.
 """
 
 from __future__ import annotations
@@ -30,16 +30,17 @@ CELL_ROWS = 12_000
 #: A node of this many rows or fewer is settled by exact pairwise distances.
 SMALL_NODE = 384
 #: Share of sampled neighbours that the visited cells must contain.
-RECALL = 0.995
+RECALL = 0.999
 
 
 @dataclass(frozen=True)
 class Upper:
-    """Upper level of the tree: cell centres, blocks per cell, cells to visit."""
+    """Upper level of the tree: cell centres, blocks per cell, and how much less alike
+    than its own cell a leaf may find a cell that it still visits."""
 
     centres: np.ndarray
     blocks: np.ndarray
-    visits: int
+    slack: float
 
 
 def two_means(x: np.ndarray, rounds: int = 4) -> np.ndarray:
@@ -92,29 +93,32 @@ def bisect_cells(x: np.ndarray, cells: int) -> np.ndarray:
     return centres.astype(np.float32)
 
 
-def calibrate(x: np.ndarray, centres: np.ndarray, limit: float, recall: float) -> int:
-    """Cells to visit so that ``recall`` of the sampled neighbours share a visited cell."""
-    k = len(centres)
-    if k == 1:
-        return 1
-    order = np.argsort(-(x @ centres.T), axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(k)[None, :].repeat(len(x), 0), 1)
-    home = order[:, 0]
-    needed: list[np.ndarray] = []
+def calibrate(x: np.ndarray, centres: np.ndarray, limit: float, recall: float) -> float:
+    """Slack at which ``recall`` of the sampled neighbours share a visited cell.
+
+    Of two neighbours one must visit the other's cell, so the smaller of both
+    gaps counts; every sampled row has the same weight, however many
+    neighbours it has. Without neighbours in the sample every cell is visited.
+    """
+    if len(centres) == 1:
+        return 0.0
+    like = x @ centres.T
+    home = like.argmax(1)
+    top = like.max(1)
+    gaps: list[np.ndarray] = []
     for s in range(0, min(len(x), 4096), 512):
         i, j = np.nonzero(x[s : s + 512] @ x.T >= 1 - limit)
         i += s
-        keep = i != j
-        i, j = i[keep], j[keep]
+        i, j = i[i != j], j[i != j]
         if len(i):
-            w = 1.0 / np.bincount(i, minlength=len(x))[i]
-            needed.append(np.stack([np.minimum(rank[i, home[j]], rank[j, home[i]]) + 1.0, w]))
-    if not needed:
-        return k
-    n, w = np.concatenate(needed, axis=1)
-    share = np.bincount(n.astype(int), weights=w, minlength=k + 1).cumsum() / w.sum()
-    return int(min(k, np.argmax(share >= min(recall, share[-1])) + 1))
+            gap = np.minimum(top[i] - like[i, home[j]], top[j] - like[j, home[i]])
+            gaps.append(np.stack([gap, 1.0 / np.bincount(i, minlength=len(x))[i]]))
+    if not gaps:
+        return 2.0
+    gap, weight = np.concatenate(gaps, axis=1)
+    order = np.argsort(gap)
+    share = weight[order].cumsum() / weight.sum()
+    return float(gap[order[min(len(order) - 1, np.searchsorted(share, recall))]])
 
 
 def fit_upper(df: DataFrame, id_col: str, vec_col: str, dim: int, limit: float, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, recall: float = RECALL) -> Upper:
@@ -280,7 +284,7 @@ FRAGMENTS = "kind string, cell int, block int, n int, frag long, ids binary, fra
 
 def fragments(packed: DataFrame, dim: int, limit: float, upper: Upper, keep_rows: bool) -> DataFrame:
     """Compact fragments of every cell. A fragment is named by its smallest id."""
-    centres, visits = upper.centres, upper.visits
+    centres, slack = upper.centres, upper.slack
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         cell, block = int(key[0]), int(key[1])
@@ -319,10 +323,12 @@ def fragments(packed: DataFrame, dim: int, limit: float, upper: Upper, keep_rows
         if keep_rows:
             out.append(("rows", cell, block, len(ids), None, pack(ids[order]), pack(name[label[order]]), pack(raw[order])))
         out.append(("home", cell, block, count, None, None, pack(name), pack(raw[medoid])))
-        if visits > 1:
-            near = np.argpartition(-(middle @ centres.T), visits - 1, axis=1)[:, :visits]
+        if len(centres) > 1:
+            like = middle @ centres.T
+            near = like >= like.max(1, keepdims=True) - np.float32(slack)
+            near |= like >= like[:, [cell]]  # a centre may be more like a cell than its rows' own
             for other in range(len(centres)):
-                if other != cell and len(w := np.nonzero((near == other).any(1))[0]):
+                if other != cell and len(w := np.nonzero(near[:, other])[0]):
                     out.append(("visit", other, block, len(w), None, None, pack(name[w]), pack(raw[medoid[w]])))
         return out
 
