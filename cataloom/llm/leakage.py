@@ -17,7 +17,7 @@ SEED_WORDS = 5
 #: Words of test items that one automaton holds; a larger test set is worked on in several blocks.
 BLOCK_WORDS = 1_000_000
 #: Cost of a differing word against one equal word, and how far an alignment may stray from its seed.
-EDIT, BAND = 3, 8
+EDIT, BAND = 1, 8
 
 _MARKUP = re.compile(r"<[^<>]{0,300}>|&#?\w{1,10};|\[/?\w{1,30}\]|[­​-‍﻿]")
 _SPACE = re.compile(r"[^\W_]+(?:['’ʼ][^\W_]+)*")
