@@ -67,7 +67,14 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p5_found, p5_persons, p7_found, p8_found, p8_items, p9_found, p9_shares, p9_plan, p10_found, p10_rates)}
 
+_USABLE = """with u as (select id, any_value(embedding)::double[128] v from scene_face_embeddings where len(embedding) = 128 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by id),
+d as (select a.id a, b.id b, greatest(round(1 - array_cosine_similarity(a.v, b.v), 9), 0) d from u a join u b on a.id < b.id where array_cosine_similarity(a.v, b.v) >= 0.649999),
+near as (select a, b, d from d where d <= 0.35 union all select b, a, d from d where d <= 0.35)
+"""
+
 SQL = {
+    "p1_found": _USABLE + "select a as id, least(a, min(b)) as cluster_id from near group by a",
+    "p3_found": _USABLE + ", r as (select a, b, row_number() over (partition by a order by d, b) r from near) select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where r <= 3",
     "p7_found": """
 with recursive rec as (
   select trim(split_part(trim(target_id), ':', 1)) x, trim(split_part(trim(target_id), ':', 2)) y
