@@ -164,3 +164,43 @@ def first_occurrences(names: Column, own: Column) -> Column:
     """Aliases trimmed, without the own name and later repeats (case apart), in order."""
     kept = F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: (n != "") & (F.lower(n) != F.lower(F.trim(own))))
     return F.filter(kept, lambda n, i: F.array_position(F.transform(kept, lambda k: F.lower(k)), F.lower(n)) == i + 1)
+
+
+def url_path(c: Column) -> Column:
+    """Path and query of a url."""
+    return F.concat(F.coalesce(F.parse_url(c, F.lit("PATH")), F.lit("")), F.coalesce(F.concat(F.lit("?"), F.parse_url(c, F.lit("QUERY"))), F.lit("")))
+
+
+def measurements(c: Column) -> Column:
+    """Band, cup, waist and hip of a text such as ``34C-24-36``; null where a part is missing."""
+    p = F.split(c, "-", 3)
+    first = F.get(p, F.lit(0))
+    return F.struct(F.regexp_extract(first, r"^(\d+)", 1).try_cast("int").alias("band"), F.nullif(F.upper(F.regexp_extract(first, r"^\d+([A-Za-z]+)$", 1)), F.lit("")).alias("cup"), F.get(p, F.lit(1)).try_cast("int").alias("waist"), F.get(p, F.lit(2)).try_cast("int").alias("hip"))
+
+
+def career_years(c: Column) -> Column:
+    """First and last year of a text such as ``2010-2020`` or ``2010-``."""
+    p = F.split(c, "-", 2)
+    return F.struct(F.trim(F.get(p, F.lit(0))).try_cast("int").alias("start"), F.trim(F.get(p, F.lit(1))).try_cast("int").alias("end"))
+
+
+def body_marks(c: Column) -> Column:
+    """``location: description; ...`` of an array of structs; the location alone without a description."""
+    return F.array_join(F.transform(c, lambda m: F.concat_ws(": ", m["location"], m["description"])), "; ")
+
+
+def unescaped(c: Column) -> Column:
+    """Text with the basic character references resolved, the ampersand last."""
+    for mark, sign in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(mark), F.lit(sign))
+    return c
+
+
+def percent(done: Column, total: Column) -> Column:
+    """Whole percent of progress, 0 where nothing is to be done."""
+    return F.when(total > 0, F.floor(100 * done / total)).otherwise(0).cast("int")
+
+
+def setting(override: Column, tier: Column, fallback: Column, low: float, high: float) -> Column:
+    """First stated value, held between its bounds."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(override, tier, fallback)))

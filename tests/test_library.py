@@ -55,6 +55,12 @@ from cataloom.streaming import incremental
         (lambda: S.hamming(F.lit(0b1011), F.lit(0b0001)), 2),
         (lambda: S.jaccard(F.array().cast("array<int>"), F.array().cast("array<int>")), 0.0),
         (lambda: S.first_occurrences(F.array(F.lit(" Bo "), F.lit("bo"), F.lit("Al"), F.lit("")), F.lit("al")), ["Bo"]),
+        (lambda: S.url_path(F.lit("https://x.org/a/b?c=1")), "/a/b?c=1"),
+        (lambda: F.to_json(S.measurements(F.lit("34c-24-36"))), '{"band":34,"cup":"C","waist":24,"hip":36}'),
+        (lambda: F.to_json(S.career_years(F.lit("2010-"))), '{"start":2010}'),
+        (lambda: S.unescaped(F.lit("&amp;lt; &lt;")), "&lt; <"),
+        (lambda: S.percent(F.lit(1), F.lit(0)), 0),
+        (lambda: S.setting(F.lit(None).cast("double"), F.lit(5.0), F.lit(1.0), 0.0, 2.0), 2.0),
         (lambda: scoring.hash_score(F.lit(4)), 59.0),
         (lambda: scoring.hash_score(F.lit(11)), 0.0),
         (lambda: scoring.pair_confidence(F.lit(0), F.lit(60.0), F.lit(75.0)), 95.0),
