@@ -3,10 +3,11 @@
 Upper level: a bounded sample is bisected (largest dispersion first) into
 cells; every row is routed to its cell. Lower level: each cell is bisected
 further on all of its rows until every leaf is compact. A cut may run through a
-set of similar rows, so leaves are then reunited: a leaf visits the other cells
-in the order of their likeness to it (best bin first) until they are less alike
-than its own by more than a calibrated slack, and is linked to each leaf there
-whose medoid lies within the limit.
+set of similar rows, so leaves are then reunited. A leaf of few rows is compared
+with every other leaf, exactly and in blocks. A larger one visits the other
+cells that are not less alike to it than its own by more than a slack, which is
+calibrated on sampled rows against all rows. Leaves whose medoids lie within the
+limit are linked.
 """
 
 from __future__ import annotations
@@ -29,8 +30,14 @@ SAMPLE_ROWS = 16_384
 CELL_ROWS = 12_000
 #: A node of this many rows or fewer is settled by exact pairwise distances.
 SMALL_NODE = 384
-#: Share of sampled neighbours that the visited cells must contain.
+#: Share of a sampled row's neighbours that the visited cells must contain, in groups of every size.
 RECALL = 0.999
+#: Sampled rows that are compared with all rows for the calibration, and steps of slack told apart.
+CALIBRATION_ROWS, STEPS = 4_096, 1_024
+#: A fragment of this many rows or fewer is compared with every other fragment.
+FEW_ROWS = 3
+#: Medoids of such fragments that are broadcast at once.
+BLOCK_ROWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -93,32 +100,61 @@ def bisect_cells(x: np.ndarray, cells: int) -> np.ndarray:
     return centres.astype(np.float32)
 
 
-def calibrate(x: np.ndarray, centres: np.ndarray, limit: float, recall: float) -> float:
-    """Slack at which ``recall`` of the sampled neighbours share a visited cell.
+def calibrate(df: DataFrame, id_col: str, vec_col: str, dim: int, ids: np.ndarray, x: np.ndarray, centres: np.ndarray, limit: float, recall: float) -> float:
+    """Slack at which ``recall`` of the neighbours of the rows ``x`` share a visited cell.
 
-    Of two neighbours one must visit the other's cell, so the smaller of both
-    gaps counts; every sampled row has the same weight, however many
-    neighbours it has. Without neighbours in the sample every cell is visited.
+    The rows are compared with all rows of ``df``. Of two neighbours one must
+    visit the other's cell, so the smaller of both gaps counts. Every row has
+    the same weight, however many neighbours it has, and the share must hold in
+    each class of group sizes (2 to 3 rows, 4 to 7, and so on), so that large
+    groups do not speak for small ones. Without neighbours every cell is visited.
     """
     if len(centres) == 1:
         return 0.0
     like = x @ centres.T
-    home = like.argmax(1)
-    top = like.max(1)
-    gaps: list[np.ndarray] = []
-    for s in range(0, min(len(x), 4096), 512):
-        i, j = np.nonzero(x[s : s + 512] @ x.T >= 1 - limit)
-        i += s
-        i, j = i[i != j], j[i != j]
-        if len(i):
-            gap = np.minimum(top[i] - like[i, home[j]], top[j] - like[j, home[i]])
-            gaps.append(np.stack([gap, 1.0 / np.bincount(i, minlength=len(x))[i]]))
-    if not gaps:
+    told = df.sparkSession.sparkContext.broadcast((ids, x, like, like.argmax(1), like.max(1)))
+
+    def op(batches):
+        own, x, like, home, top = told.value
+        held = np.zeros((len(own), STEPS + 1), np.int64)
+        for batch in batches:
+            rows, raw = vectors_of(batch.column(1), dim)
+            known = np.asarray(batch.column(0).is_valid())[rows]
+            rows, raw = rows[known], raw[known]
+            if not len(rows):
+                continue
+            other, y = np.asarray(batch.column(0).take(pa.array(rows))).astype(np.int64), unit(raw)
+            near = y @ centres.T
+            at, best = near.argmax(1), near.max(1)
+            for s in range(0, len(x), 512):
+                alike = x[s : s + 512] @ y.T
+                i, j = np.divmod(np.flatnonzero(alike >= np.float32(1 - limit)), len(y))
+                i += s
+                apart = own[i] != other[j]
+                i, j = i[apart], j[apart]
+                gap = np.minimum(top[i] - like[i, at[j]], best[j] - near[j, home[i]])
+                np.add.at(held, (i, np.clip(np.ceil(gap * (STEPS / 2)), 0, STEPS).astype(np.int64)), 1)
+        i, g = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(g), pa.array(held[i, g])], names=["i", "g", "n"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    got = rows.mapInArrow(op, "i long, g long, n long").groupBy("i", "g").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros((len(ids), STEPS + 1))
+    held[np.asarray(got["i"]), np.asarray(got["g"])] = np.asarray(got["n"])
+    return slack_of(held, recall)
+
+
+def slack_of(held: np.ndarray, recall: float) -> float:
+    """Slack from the number of neighbours of each row (line) at each step of the gap (column)."""
+    size = held.sum(1)
+    if not size.any():
         return 2.0
-    gap, weight = np.concatenate(gaps, axis=1)
-    order = np.argsort(gap)
-    share = weight[order].cumsum() / weight.sum()
-    return float(gap[order[min(len(order) - 1, np.searchsorted(share, recall))]])
+    most = 0
+    kind = np.floor(np.log2(size + 1)).astype(np.int64)
+    for c in np.unique(kind[size > 0]):
+        share = (held[kind == c] / size[kind == c, None]).mean(0).cumsum()
+        most = max(most, int(np.searchsorted(share, recall - 1e-12)))
+    return most * 2 / STEPS
 
 
 def fit_upper(df: DataFrame, id_col: str, vec_col: str, dim: int, limit: float, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, recall: float = RECALL) -> Upper:
@@ -126,13 +162,16 @@ def fit_upper(df: DataFrame, id_col: str, vec_col: str, dim: int, limit: float,
     total = df.count()
     share = min(1.0, sample_rows / max(total, 1))
     picked = df if share == 1.0 else df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = picked.select(F.col(vec_col).alias("v")).toArrow()
-    _, raw = vectors_of(got["v"], dim)
+    got = picked.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).toArrow()
+    rows, raw = vectors_of(got["v"], dim)
     x = unit(raw[: 2 * sample_rows]) if len(raw) else np.eye(1, dim, dtype=np.float32)
+    ids = np.asarray(got["id"])[rows][: 2 * sample_rows].astype(np.int64) if len(raw) else np.empty(0, np.int64)
     centres = bisect_cells(x, max(1, math.ceil(total / cell_rows)))
     held = np.bincount((x @ centres.T).argmax(1), minlength=len(centres)) / len(x) * total
     blocks = np.maximum(1, np.ceil(held / (2 * cell_rows))).astype(np.int64)
-    return Upper(centres, blocks, calibrate(x, centres, limit, recall))
+    asked = np.unique(ids, return_index=True)[1]
+    asked = np.random.RandomState(17).permutation(asked)[:CALIBRATION_ROWS]
+    return Upper(centres, blocks, calibrate(df, id_col, vec_col, dim, ids[asked], x[asked], centres, limit, recall))
 
 
 def _block_of(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
@@ -213,7 +252,8 @@ def near_pairs(x: np.ndarray, y: np.ndarray, limit: float) -> tuple[np.ndarray,
     left, right = [], []
     for s in range(0, len(x), 1024):
         for t in range(0, len(y), 4096):
-            i, j = np.nonzero(x[s : s + 1024] @ y[t : t + 4096].T >= 1 - limit - 1e-5)
+            like = x[s : s + 1024] @ y[t : t + 4096].T
+            i, j = np.divmod(np.flatnonzero(like >= np.float32(1 - limit - 1e-5)), like.shape[1])  # faster than nonzero in two dimensions
             left.append(i + s)
             right.append(j + t)
     a, b = np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
@@ -278,7 +318,8 @@ def medoids(x: np.ndarray, label: np.ndarray, count: int) -> tuple[np.ndarray, n
 
 
 #: One row of the fragment table: ``rows`` (ids, vectors and fragment of a block), ``frag``
-#: (members of a fragment), ``home`` and ``visit`` (medoids bound for a cell).
+#: (members of a fragment), ``home`` and ``visit`` (medoids bound for a cell), ``few`` (medoids
+#: of fragments of at most FEW_ROWS rows).
 FRAGMENTS = "kind string, cell int, block int, n int, frag long, ids binary, frags binary, vecs binary"
 
 
@@ -322,11 +363,15 @@ def fragments(packed: DataFrame, dim: int, limit: float, upper: Upper, keep_rows
             out.append(("frag", cell, block, len(members), int(name[k]), members.tobytes(), None, None))
         if keep_rows:
             out.append(("rows", cell, block, len(ids), None, pack(ids[order]), pack(name[label[order]]), pack(raw[order])))
-        out.append(("home", cell, block, count, None, None, pack(name), pack(raw[medoid])))
-        if len(centres) > 1:
+        few = np.diff(ends) <= FEW_ROWS
+        for kind, w in (("few", np.nonzero(few)[0]), ("home", np.nonzero(~few)[0])):
+            if len(w):
+                out.append((kind, cell, block, len(w), None, None, pack(name[w]), pack(raw[medoid[w]])))
+        if len(centres) > 1 and not few.all():
             like = middle @ centres.T
             near = like >= like.max(1, keepdims=True) - np.float32(slack)
             near |= like >= like[:, [cell]]  # a centre may be more like a cell than its rows' own
+            near &= ~few[:, None]
             for other in range(len(centres)):
                 if other != cell and len(w := np.nonzero(near[:, other])[0]):
                     out.append(("visit", other, block, len(w), None, None, pack(name[w]), pack(raw[medoid[w]])))
@@ -337,7 +382,7 @@ def fragments(packed: DataFrame, dim: int, limit: float, upper: Upper, keep_rows
 
 
 def links(frags: DataFrame, dim: int, limit: float, upper: Upper) -> DataFrame:
-    """Pairs ``a < b`` of fragments whose medoids lie within ``limit`` of each other."""
+    """Pairs ``a < b`` of fragments of more than FEW_ROWS rows whose medoids lie within ``limit``."""
     several = upper.blocks
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -363,8 +408,57 @@ def links(frags: DataFrame, dim: int, limit: float, upper: Upper) -> DataFrame:
     return bound.repartition(max(2, len(upper.centres)), "cell").groupBy("cell").applyInPandas(one, "a long, b long").distinct()
 
 
+def few_links(frags: DataFrame, dim: int, limit: float) -> DataFrame:
+    """Pairs ``a < b`` of fragments within ``limit`` of which one has at most FEW_ROWS rows.
+
+    Every such fragment is compared with all others: a block of their medoids is
+    broadcast and meets all medoids where they lie. Two of them meet once.
+    """
+    packs = frags.where(F.col("kind").isin("few", "home")).select("kind", "n", "frags", "vecs")
+    few = packs.where("kind = 'few'")
+    blocks = max(1, math.ceil((few.agg(F.sum("n")).first()[0] or 0) / BLOCK_ROWS))
+    every = np.array([blocks])
+    context = frags.sparkSession.sparkContext
+
+    def read(n, f, v):
+        return unpack(f, np.int64, n), unpack(v, np.float32, n * dim).reshape(n, dim)
+
+    found = None
+    for b in range(blocks):
+
+        def take(frames, b=b):
+            for pdf in frames:
+                for n, f, v in zip(pdf["n"], pdf["frags"], pdf["vecs"]):
+                    name, raw = read(n, f, v)
+                    w = _block_of(name, every) == b
+                    if w.any():
+                        yield pd.DataFrame({"n": [int(w.sum())], "frags": [pack(name[w])], "vecs": [pack(raw[w])]})
+
+        got = [read(r["n"], r["frags"], r["vecs"]) for r in few.mapInPandas(take, "n int, frags binary, vecs binary").collect()]
+        if not got:
+            continue
+        told = context.broadcast((np.concatenate([g[0] for g in got]), unit(np.concatenate([g[1] for g in got]))))
+
+        def meet(frames, b=b, told=told):
+            name, x = told.value
+            for pdf in frames:
+                for kind, n, f, v in zip(pdf["kind"], pdf["n"], pdf["frags"], pdf["vecs"]):
+                    other, raw = read(n, f, v)
+                    if kind == "few":
+                        w = _block_of(other, every) >= b
+                        other, raw = other[w], raw[w]
+                    if len(other):
+                        i, j = near_pairs(x, unit(raw), limit)
+                        low, high = np.minimum(name[i], other[j]), np.maximum(name[i], other[j])
+                        yield pd.DataFrame({"a": low, "b": high})[low < high]
+
+        part = materialise(packs.repartition(max(2, context.defaultParallelism)).mapInPandas(meet, "a long, b long"), "few")
+        found = part if found is None else found.unionByName(part)
+    return frags.sparkSession.createDataFrame([], "a long, b long") if found is None else found.distinct()
+
+
 def grow(df: DataFrame, id_col: str, vec_col: str, dim: int, limit: float, keep_rows: bool, **sizes) -> tuple[DataFrame, DataFrame, Upper]:
     """The written fragment table, the links between fragments, and the upper level."""
     upper = fit_upper(df, id_col, vec_col, dim, limit, **sizes)
     table = materialise(fragments(route(df, id_col, vec_col, dim, upper), dim, limit, upper, keep_rows), "fragments")
-    return table, links(table, dim, limit, upper), upper
+    return table, links(table, dim, limit, upper).unionByName(few_links(table, dim, limit)), upper
