@@ -22,7 +22,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest_neighbours(table(spark, sf_dir, "scene_face_embeddings"))
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "scene_face_embeddings"), limit=None)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
