@@ -203,5 +203,8 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
 
 
 def short_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Sources whose target the fitted rates cannot meet, confirmed against their own tokens."""
-    return mixture(documents, targets, tokenizer)[1].where("unmet and falls_short").select("source").distinct()
+    """Sources whose own tokens, repeated as often as allowed, are less than their target.
+
+    Whether texts of other or no sources could fill the gap does not matter.
+    """
+    return mixture(documents, targets, tokenizer)[1].where("falls_short").select("source").distinct()

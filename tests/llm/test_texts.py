@@ -146,3 +146,12 @@ def test_mixture_of_nothing(spark):
     targets = spark.createDataFrame([("forum", 0.5, 2)], "source string, target_share double, max_repeats int")
     assert [tuple(r)[:4] for r in mixing.mixture(docs(spark, []), targets)[1].collect()] == [("forum", 0.5, 2, 0)]
     assert mixing.mixture(docs(spark, [(1, "a b", "forum")]), targets.limit(0))[1].count() == 0
+
+
+@needs_tokenizer
+def test_short_sources_count_their_own_tokens_only(spark):
+    rows = [(i, "forum talk about the scene and its match", "forum") for i in range(60)] + [(100 + i, "the actor was born and began a career", "bio") for i in range(8)] + [(200 + i, "the actor was born and began a career", None) for i in range(40)]
+    targets = spark.createDataFrame([("forum", 0.7, 2), ("bio", 0.3, 2)], "source string, target_share double, max_repeats int")
+    report = {r["source"]: r for r in mixing.mixture(docs(spark, rows), targets)[1].collect()}
+    assert not report["bio"]["unmet"] and report["bio"]["falls_short"]
+    assert [r["source"] for r in mixing.short_sources(docs(spark, rows), targets).collect()] == ["bio"]
