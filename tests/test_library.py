@@ -135,6 +135,16 @@ def test_vector_search(spark):
     assert vectors.search(df.limit(0), df, "id", "id", "v", k=2).count() == 0
 
 
+def test_vector_search_counts_repeated_ids_once(spark):
+    m = [[1.0, 0.01 * i] for i in range(30)]
+    rows = [(i, v) for i, v in enumerate(m) for _ in range(6 if i < 3 else 1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    got = vectors.search(df.where("id = 0"), df, "id", "id", "v", k=4).collect()
+    assert {(r["index_id"], r["rank"]) for r in got} == {(0, 1), (1, 2), (2, 3), (3, 4)}
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.2]), (2, [1.0, 0.3])], "id long, v array<double>").coalesce(1)
+    assert {(r["index_id"], r["rank"]) for r in vectors.search(two.where("id = 0"), two, "id", "id", "v", k=3).collect()} == {(0, 1), (1, 2), (2, 3)}
+
+
 @pytest.mark.parametrize("most", [0, 3, 10])
 def test_hamming_pairs(spark, most):
     rng = np.random.RandomState(1)
