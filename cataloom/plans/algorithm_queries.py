@@ -38,7 +38,7 @@ def _(t):
 @q.add("j9_near_hashes", "with h as (select distinct id, cast(('0x' || substr(image_sha256, 1, 6)) as bigint) p from faces) select a.id as a, b.id as b, bit_count(xor(a.p, b.p)) as bits from h a join h b on a.id < b.id and bit_count(xor(a.p, b.p)) <= 2")
 def _(t):
     h = t("faces").select("id", S.phash_bits(F.substring("image_sha256", 1, 6)).alias("p"))
-    return vectors.hamming_pairs(h, "id", "p", 2)
+    return vectors.hamming_pairs(h, "id", "p", 2, size=24)
 
 
 _K13 = f"""

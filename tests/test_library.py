@@ -156,6 +156,16 @@ def test_hamming_pairs(spark, most):
     assert got == {(i, j, bits(h[i], h[j])) for i in range(len(h)) for j in range(i + 1, len(h)) if bits(h[i], h[j]) <= most}
 
 
+def test_hamming_pieces_lie_in_the_bits_used(spark):
+    assert vectors.pieces_of(24, 2) == [(0, 8), (8, 8), (16, 8)]
+    rng = np.random.RandomState(2)
+    h = [int(x) for x in rng.randint(0, 2**24, 60)]
+    h += [h[0] ^ 0b11, h[1] ^ (1 << 23), h[2] ^ (1 << 23 | 1 << 8), h[3] ^ 0b111]
+    df = spark.createDataFrame(list(enumerate(h)), "id long, h long")
+    got = {tuple(r) for r in vectors.hamming_pairs(df, "id", "h", 2, size=24).collect()}
+    assert got == {(i, j, (h[i] ^ h[j]).bit_count()) for i in range(len(h)) for j in range(i + 1, len(h)) if (h[i] ^ h[j]).bit_count() <= 2}
+
+
 def test_online_clusters(spark):
     rows = [(1, 2, 0, [1.0, 0.0]), (1, 1, 1, [0.9, 0.1]), (1, 3, 2, [0.0, 1.0]), (1, 4, 3, None), (2, 9, 0, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "g long, id long, f int, v array<double>")
