@@ -18,7 +18,7 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.near_pairs(table(spark, sf_dir, "scene_face_embeddings"))
+    return neighbours.similar_pairs(table(spark, sf_dir, "scene_face_embeddings"))
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
