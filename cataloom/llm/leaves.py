@@ -30,7 +30,7 @@ from cataloom.llm.packing import pack, unit, unpack, vectors_of
 #: Rows of a sample that fits cells.
 SAMPLE_ROWS = 16_384
 #: Rows that a cell should hold; one of more than OVERFULL times as many is bisected again.
-CELL_ROWS, OVERFULL = 12_000, 4
+CELL_ROWS, OVERFULL = 24_000, 3
 #: Dispersion a row (1 - cosine to the centre) below which a cell counts as copies and is cut into blocks only.
 COPIES = 1e-3
 #: Rounds after which no further cells are made.
@@ -189,7 +189,7 @@ def fit_tree(df: DataFrame, id_col: str, vec_col: str, dim: int, sample_rows: in
             break
         split = [c for c in over if len(picked[c]) > 1]
         centres = np.concatenate([np.delete(centres, split, 0), *fresh])
-    return tree_of(centres, np.maximum(1, np.ceil(n / (2 * cell_rows))).astype(np.int64))
+    return tree_of(centres, np.maximum(1, np.ceil(n / (1.5 * cell_rows))).astype(np.int64))
 
 
 def _measure(rows: DataFrame, dim: int, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
