@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: References that one probe task should take.
 TASK_ROWS = 250_000
-#: Rows of the key sample that sets the range bounds.
-SAMPLE_ROWS = 20_000
+#: Quantiles of the keys that set the range bounds, found over all references.
+QUANTILES = 1_000
 
 
 def parent_states(parents: DataFrame, key: Column, created: Column, deleted: Column) -> DataFrame:
@@ -27,6 +27,32 @@ def parent_states(parents: DataFrame, key: Column, created: Column, deleted: Col
     return grouped.select("key", "live", F.when(~F.col("always"), F.col("since")).alias("since"))
 
 
+def _ranges(known: DataFrame, task_rows: int) -> tuple[list[int], list[int]]:
+    """Upper bounds of the key ranges but for the last, and the tasks that each range needs.
+
+    One pass over all references. A key that stands for several quantiles is
+    hot: its range gets as many tasks as it has rows for.
+    """
+    told = known.agg(F.count("*").alias("n"), F.percentile_approx("key", [i / QUANTILES for i in range(1, QUANTILES)], 10 * QUANTILES).alias("q")).first()
+    step = max(1, math.floor(task_rows * QUANTILES / max(told["n"], 1)))
+    marks = [int(c) for c in told["q"] or []]
+    bounds = sorted(set(marks[step - 1 :: step])) if told["n"] > task_rows else []
+    rows = np.diff(np.concatenate([[0], np.searchsorted(marks, bounds, side="right"), [QUANTILES]])) * told["n"] / QUANTILES
+    return bounds, [max(1, math.ceil(r / (2 * task_rows))) for r in rows]
+
+
+def _place(bounds: list[int], key: Column) -> Column:
+    """Number of bounds below ``key``, found in two steps of about the square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    width = math.ceil(math.sqrt(len(bounds)))
+    chunks = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    array = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    chunk = F.least(F.size(F.filter(array([c[-1] for c in chunks]), lambda b: b < key)), F.lit(len(chunks) - 1))
+    inner = F.element_at(F.array(*[array(c) for c in chunks]), chunk + 1)
+    return chunk * width + F.size(F.filter(inner, lambda b: b < key))
+
+
 def orphan_references(refs: DataFrame, parents: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """The rows of ``refs`` whose key has no valid parent, with ``reason``.
 
@@ -35,7 +61,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, task_rows: int = TASK
     since``. A reason is ``missing`` (no such key), ``deleted`` (no live row)
     or ``late`` (the earliest live row is newer than the reference).
 
-    Keys are range-partitioned by sampled bounds. A range's parents become
+    Keys are range-partitioned by quantiles over all references. A range's parents become
     sorted arrays, probed by binary search for whole batches of references.
     A range with many references is salted: its references spread over several
     tasks, each with that range's parents, so one key with a third of all
@@ -44,24 +70,14 @@ def orphan_references(refs: DataFrame, parents: DataFrame, task_rows: int = TASK
     Null keys are left out; a reference without a time is never late; repeated
     rows give repeated results; empty tables are fine.
     """
-    spark = refs.sparkSession
     known = refs.where(F.col("key").isNotNull())
-    total = known.count()
-    ranges = max(1, math.ceil(total / task_rows))
-    share = min(1.0, SAMPLE_ROWS / max(total, 1))
-    cuts: list[int] = []
-    if ranges > 1:
-        picked = known.where(F.pmod(F.xxhash64(*[c for c in known.columns]), F.lit(1 << 30)) < int(share * (1 << 30)))
-        cuts = [int(c) for c in picked.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []]
-    bounds = sorted(set(cuts))
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    bounds, load = _ranges(known, task_rows)
 
     def range_of(df: DataFrame) -> DataFrame:
-        return df.withColumn("_range", F.size(F.filter(edges, lambda b: b < F.col("key"))) if bounds else F.lit(0))
+        return df.withColumn("_range", _place(bounds, F.col("key")))
 
     asked, held = range_of(known), range_of(parents.where("key is not null"))
-    load = {r["_range"]: max(1, math.ceil(r["count"] / (2 * task_rows))) for r in asked.groupBy("_range").count().collect()} if bounds else {0: max(1, math.ceil(total / (2 * task_rows)))}
-    salts = F.array(*[F.lit(load.get(r, 1)) for r in range(len(bounds) + 1)])
+    salts = F.array(*[F.lit(n) for n in load])
     asked = asked.withColumn("_salt", F.pmod(F.xxhash64(*known.columns), F.element_at(salts, F.col("_range") + 1).cast("long")).cast("int"))
     held = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.element_at(salts, F.col("_range") + 1) - 1)))
     keep = known.columns
@@ -83,11 +99,13 @@ def orphan_references(refs: DataFrame, parents: DataFrame, task_rows: int = TASK
         return left.assign(reason=reason)[reason != None][[*keep, "reason"]]  # noqa: E711
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields) + ", reason string"
-    tasks = sum(load.values())
+    tasks = sum(load)
     return asked.repartition(max(2, tasks), "_range", "_salt").groupBy("_range", "_salt").cogroup(held.select("domain", "key", "live", "since", "_range", "_salt").repartition(max(2, tasks), "_range", "_salt").groupBy("_range", "_salt")).applyInPandas(probe, schema)
 
 
-WHOLE = r"^[0-9]{1,18}$"
+def whole(c: Column) -> Column:
+    """The whole number written in ``c`` (outer blanks apart), null if it is none or beyond 64 bits."""
+    return F.when(F.trim(c).rlike("^[0-9]+$"), F.trim(c).try_cast("long"))
 
 
 def catalogue_references(embeddings: DataFrame, recommendations: DataFrame) -> DataFrame:
@@ -100,12 +118,12 @@ def catalogue_references(embeddings: DataFrame, recommendations: DataFrame) -> D
     faces = embeddings.select(F.lit("scene").alias("domain"), F.col("stash_scene_id").cast("long").alias("key"), F.col("created_at").cast("timestamp_ntz").alias("made"), F.lit("scene_face_embeddings").alias("ref_table"), F.col("id").cast("long").alias("ref_id"))
     pieces = F.when(F.col("type") == "duplicate_scenes", F.split("target_id", ":")).otherwise(F.slice(F.split("target_id", r"\|"), 1, 1))
     told = recommendations.select(F.when(F.col("type") == "upstream_performer_changes", F.lit("performer")).otherwise(F.lit("scene")).alias("domain"), F.explode(pieces).alias("piece"), F.col("created_at").cast("timestamp_ntz").alias("made"), F.col("id").cast("long").alias("ref_id"))
-    told = told.where(F.trim("piece").rlike(WHOLE)).select("domain", F.trim("piece").cast("long").alias("key"), "made", F.lit("recommendations").alias("ref_table"), "ref_id")
+    told = told.withColumn("key", whole(F.col("piece"))).where("key is not null").select("domain", "key", "made", F.lit("recommendations").alias("ref_table"), "ref_id")
     return faces.unionByName(told)
 
 
 def catalogue_parents(scene: DataFrame, performers: DataFrame) -> DataFrame:
-    scenes = parent_states(scene.where(F.trim("scene_id").rlike(WHOLE)), F.trim("scene_id"), F.col("created_at"), F.col("deleted_at"))
+    scenes = parent_states(scene, whole(F.col("scene_id")), F.col("created_at"), F.col("deleted_at"))
     people = parent_states(performers, F.col("id"), F.col("created_at"), F.col("deleted_at"))
     return scenes.withColumn("domain", F.lit("scene")).unionByName(people.withColumn("domain", F.lit("performer")))
 

@@ -76,33 +76,36 @@ def online_clusters(faces: DataFrame, group: str, order: list[str], row_id: str,
 
     The result depends on the order of rows, so a group is folded in one task;
     it keeps the running sums of its clusters only, and rows arrive as Arrow
-    batches. Unusable vectors are at distance 1 from everything.
+    batches. Directions of means are compared, so sums serve; an unusable vector
+    (null, empty, non-finite or all zero) opens a cluster that no other row joins.
     """
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        sums: list[np.ndarray] = []
-        counts: list[int] = []
+        rows = [np.asarray(v, np.float64) if v is not None else np.zeros(0) for v in pdf[vector]]
+        sums: dict[int, np.ndarray] = {}  # by length of the vectors: sums of the clusters, one line each
+        names: dict[int, list[int]] = {}
+        count = 0
         out = []
-        for v in pdf[vector]:
-            x = np.asarray(v, np.float64) if v is not None else np.zeros(0)
-            usable = len(x) and np.isfinite(x).all() and x.any()
-            best, at = limit, -1
-            if usable:
-                for c, (t, n) in enumerate(zip(sums, counts)):
-                    if len(t) == len(x):
-                        m = t / n
-                        size = np.linalg.norm(m) * np.linalg.norm(x)
-                        d = 1 - float(m @ x) / size if size else 1.0
-                        if d < best:
-                            best, at = d, c
+        for x in rows:
+            at = -1
+            if len(x) and np.isfinite(x).all() and x.any():
+                held = names.setdefault(len(x), [])
+                table = sums.setdefault(len(x), np.zeros((8, len(x))))
+                means = table[: len(held)]
+                size = np.linalg.norm(means, axis=1) * np.linalg.norm(x)
+                d = 1 - np.divide(means @ x, size, out=np.zeros(len(held)), where=size > 0)
+                best = int(d.argmin()) if len(held) else -1
+                if best >= 0 and d[best] < limit:
+                    table[best] += x
+                    at = held[best]
+                else:
+                    if len(held) == len(table):
+                        sums[len(x)] = table = np.concatenate([table, np.zeros_like(table)])
+                    table[len(held)] = x
+                    held.append(count)
             if at < 0:
-                sums.append(x.copy())
-                counts.append(1)
-                at = len(sums) - 1
-            else:
-                sums[at] += x
-                counts[at] += 1
+                at, count = count, count + 1
             out.append(at)
         return pd.DataFrame({group: key[0], row_id: pdf[row_id].to_numpy(), "cluster": out})
 

@@ -35,10 +35,9 @@ def _(t):
     return vectors.search(f.where(F.col("id") % 100 == 0), f, "id", "id", "embedding", k=4)
 
 
-@q.add("j9_near_hashes", "with h as (select distinct id, cast(('0x' || substr(image_sha256, 1, 6)) as bigint) p from faces) select a.id as a, b.id as b, bit_count(xor(a.p, b.p)) as bits from h a join h b on a.id < b.id and bit_count(xor(a.p, b.p)) <= 2")
+@q.add("j9_near_hashes", "with h as (select distinct id, cast(('0x' || substr(image_sha256, 1, 16)) as ubigint) p from faces where image_sha256 is not null) select least(a.id, b.id) as a, greatest(a.id, b.id) as b, bit_count(xor(a.p, b.p)) as bits from h a join h b on a.id < b.id and bit_count(xor(a.p, b.p)) <= 10")
 def _(t):
-    h = t("faces").select("id", S.phash_bits(F.substring("image_sha256", 1, 6)).alias("p"))
-    return vectors.hamming_pairs(h, "id", "p", 2, size=24)
+    return vectors.hamming_pairs(t("faces").select("id", S.phash_bits(F.substring("image_sha256", 1, 16)).alias("p")), "id", "p", 10)
 
 
 _K13 = f"""

@@ -52,12 +52,12 @@ _P6 = """
 with refs as (
   select 'scene_face_embeddings' ref_table, id ref_id, 'scene' dom, cast(stash_scene_id as bigint) k, created_at made from scene_face_embeddings where stash_scene_id is not null
   union
-  select 'recommendations', id, case when type = 'upstream_performer_changes' then 'performer' else 'scene' end, cast(trim(piece) as bigint), created_at
+  select 'recommendations', id, case when type = 'upstream_performer_changes' then 'performer' else 'scene' end, try_cast(trim(piece) as bigint), created_at
   from (select id, type, created_at, unnest(case when type = 'duplicate_scenes' then string_split(target_id, ':') else string_split(target_id, '|')[1:1] end) piece from recommendations)
-  where regexp_full_match(trim(piece), '[0-9]{1,18}')),
+  where regexp_full_match(trim(piece), '[0-9]+') and try_cast(trim(piece) as bigint) is not null),
 par as (
-  select 'scene' dom, cast(trim(scene_id) as bigint) k, bool_or(deleted_at is null) live, min(created_at) filter (deleted_at is null) since
-  from scene where regexp_full_match(trim(scene_id), '[0-9]{1,18}') group by 2
+  select 'scene' dom, try_cast(trim(scene_id) as bigint) k, bool_or(deleted_at is null) live, min(created_at) filter (deleted_at is null) since
+  from scene where regexp_full_match(trim(scene_id), '[0-9]+') and try_cast(trim(scene_id) as bigint) is not null group by 2
   union all
   select 'performer', id, bool_or(deleted_at is null), min(created_at) filter (deleted_at is null) from search_performer group by 2),
 found as (

@@ -74,7 +74,7 @@ def test_changes_cases(spark):
         (None, "delete", 6, None, None),
         (12, None, 7, "no op", None),
     ]
-    assert apply(spark, base, feed) == [(1, "new"), (3, "c2"), (4, "fresh"), (6, None), (7, "no op")]
+    assert apply(spark, base, feed) == [(1, "new"), (3, "c2"), (4, "fresh"), (6, None)]  # a change without operation changes nothing
 
 
 def test_changes_empty_sides(spark):
@@ -130,3 +130,11 @@ def test_catalogue_orphans(spark):
 @pytest.mark.parametrize("op, gone", [("delete", True), (" Removed", True), ("D", True), ("update", False), ("upsert", False)])
 def test_delete_words(spark, op, gone):
     assert spark.range(1).select(changes.is_delete(F.lit(op))).first()[0] is gone
+
+
+def test_unknown_operations_change_nothing(spark):
+    base = spark.createDataFrame([(1, 5, "a")], "id long, s long, v string")
+    feed = spark.createDataFrame([(1, 9, "truncate", "b"), (1, 8, None, "c"), (2, 3, " Upsert ", "d")], "id long, c long, op string, v string")
+    got = changes.apply_changes(base, feed, "id", "c", "s", "op", ["v"])
+    assert {tuple(r) for r in got.collect()} == {(1, "a"), (2, "d")}
+    assert changes.unreadable_changes(feed, "op").count() == 2

@@ -157,7 +157,8 @@ def test_hamming_pairs(spark, most):
 
 
 def test_hamming_pieces_lie_in_the_bits_used(spark):
-    assert vectors.pieces_of(24, 2) == [(0, 8), (8, 8), (16, 8)]
+    assert vectors.pieces_of(24, 3) == [(0, 8), (8, 8), (16, 8)]
+    assert sorted(vectors.masks_of(3, 1)) == [0, 1, 2, 4]
     rng = np.random.RandomState(2)
     h = [int(x) for x in rng.randint(0, 2**24, 60)]
     h += [h[0] ^ 0b11, h[1] ^ (1 << 23), h[2] ^ (1 << 23 | 1 << 8), h[3] ^ 0b111]
