@@ -18,14 +18,21 @@ from cataloom.workspace import materialise
 
 #: Labelled documents that the scorer is fitted on at most (by smallest hash of the id).
 MOST_LABELLED = 20_000
-#: Tokens kept of one tally over the corpus, the most frequent first; it bounds what a broadcast holds.
-MOST_TOKENS = 600_000
+#: A token must stand in one of so many toxic texts at least to count; so the model's size is bounded by
+#: this number times the tokens of a passage, however large the corpus is.
+RARE = 20_000
 #: Weight of the corpus-wide token shares as Dirichlet prior, in documents (no more than are labelled).
 PRIOR = 300.0
 #: Standard errors by which a positive log-odds is drawn towards zero.
 SHRINK = 0.7
 #: Score from which a segment teaches the next round.
 CONFIDENT = 3.0
+#: Log-odds of a token at most; a token that clean texts hold too stays below it.
+MOST_ODDS = 7.0
+#: Score from which a segment enters the extreme-value law, and the weight of the law's prior (scale 1) in segments.
+TAIL, TAIL_PRIOR = 0.25, 10
+#: Chance segments that a flagged text may be expected to hold at most.
+SIGNIFICANT = 0.05
 #: Score of every token besides its log-odds, and of a sentence end.
 DRIFT, SENTENCE_END = -0.6, -2.5
 
@@ -118,6 +125,17 @@ class Scorer:
         """Segments at least as good that a clean text of ``n`` tokens would hold by chance."""
         return self.rate * n * math.exp(-self.scale * (best - self.floor)) if best > 0 else math.inf
 
+    def together(self, scores: list[float], n: int) -> float:
+        """The same for the best one, two or three segments of a text taken together, whichever is rarest."""
+        least, total = math.inf, 0.0
+        for r, x in enumerate(sorted(scores, reverse=True)[:3], 1):
+            total -= math.log(max(self.expected(x, n), 1e-300))
+            if total > 0:
+                least = min(least, math.exp(-total) * total ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)))
+            elif r == 1:
+                least = math.exp(-total)
+        return least
+
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments ``(start, end, score)`` in linear time."""
@@ -139,17 +157,6 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, r - left) for a, b, left, r, _ in kept]
 
 
-#: Words that insult, threaten, demean or describe sex in any context (fixed values): pseudo-counts of the prior.
-SEEDS = frozenset(
-    "idiot idiots moron morons imbecile imbecil dumbass asshole bastard bastards bitch whore slut scum scumbag vermin subhuman jackass dimwit dirtbag faggot retard "
-    "fuck fucking fucked cunt pussy cock penis dick tits boobs nipples genitals blowjob handjob cumshot orgasm masturbate masturbates masturbating horny porn anal "
-    "vollidiot arschloch schlampe hure wichser ungeziefer abschaum missgeburt ficken fotze fresse "
-    "connard connasse salope encule batard vermine ordure putain pute baise gueule "
-    "gilipollas cabron puta mierda escoria desgraciado idiota imbecil polla follar zorra".split()
-)
-SEED_COUNT = 3.0
-
-
 def _with_masks(odds: dict[str, float]) -> Scorer:
     masked: dict[str, str] = {}
     for w, d in sorted(odds.items()):
@@ -159,16 +166,16 @@ def _with_masks(odds: dict[str, float]) -> Scorer:
     return Scorer(odds, masked)
 
 
-def log_odds(pos: dict[str, float], neg: dict[str, float], n_pos: float, n_neg: float, prior: dict[str, float], weight: float, shrink: float) -> dict[str, float]:
+def log_odds(pos: dict[str, float], neg: dict[str, float], n_pos: float, n_neg: float, prior: dict[str, float], weight: float, shrink: float, least: float = 0.05) -> dict[str, float]:
     """Shrunken log-odds of each token under a Dirichlet prior; a bigram counts less than a word."""
     odds = {}
     for f in pos.keys() | neg.keys():
-        a = prior.get(f, 0.0) + 0.05
-        x, y = pos.get(f, 0.0) + (SEED_COUNT if f in SEEDS else 0.0), neg.get(f, 0.0)
+        a = prior.get(f, 0.0) + least
+        x, y = pos.get(f, 0.0), neg.get(f, 0.0)
         d = math.log((x + a) / (n_pos + weight)) - math.log((y + a) / (n_neg + weight))
         if d > 0:
             d = max(0.0, d - shrink * math.sqrt(1 / (x + a + 0.5) + 1 / (y + a + 0.5)))
-        d = max(-3.0, min(d, 4.0)) * (1.0 if " " not in f else 0.7)
+        d = max(-3.0, min(d, MOST_ODDS)) * (1.0 if " " not in f else 0.7)
         if abs(d) > 0.05:
             odds[f] = d
     return odds
@@ -186,7 +193,7 @@ def fit_labelled(docs: list[tuple[list[str], float]], corpus: dict[str, float],
     """
     weight = min(PRIOR, len(docs)) + 1.0
     prior = {f: weight * c / max(size, 1.0) for f, c in corpus.items()}
-    scorer = _with_masks({w: 2.0 for w in SEEDS})
+    scorer = _with_masks({})
     for r in range(3):
         pos, neg, n_pos, n_neg = Counter(), Counter(), 0, 0
         for words, p in docs:
@@ -206,7 +213,6 @@ def fit_labelled(docs: list[tuple[list[str], float]], corpus: dict[str, float],
                     n_neg += 1
                     pos.update(inside)
                     neg.update(own - inside)
-        pos.update({w: 0 for w in SEEDS})
         scorer = _with_masks(log_odds(pos, neg, n_pos, n_neg, prior, weight, SHRINK))
     return scorer
 
@@ -215,34 +221,35 @@ def refit(inside: dict[str, float], every: dict[str, float], n_inside: float, si
     """Scorer from the whole corpus: tokens inside significant segments against all others."""
     neg = {f: max(0.0, c - inside.get(f, 0.0)) for f, c in every.items()}
     neg = {f: c for f, c in neg.items() if f in inside or c >= 20}
-    pos = {w: 0.0 for w in SEEDS} | inside
-    return _with_masks(log_odds(pos, neg, n_inside, size, {}, 1.0, 1.0))
+    return _with_masks(log_odds(inside, neg, n_inside, size, {}, 1.0, 2.0, 0.5))  # a name that stands in a few passages only is no evidence
 
 
 def settle(scorer: Scorer, docs: list[tuple[list[str], float]], clean_weight: float = 3.0) -> Scorer:
-    """Extreme-value law of the best segment, and the cut that suits the labelled texts best.
+    """Extreme-value law of the segments of clean texts, and the cut that suits the labelled texts best.
 
-    Scores are log-likelihood ratios, so chance segments fall off as exp(-S);
-    their rate per token comes from clean texts. The cut is the number of
-    expected chance segments with the best F1 over labelled texts, kept between
-    those of scores 3 and 8.
+    Chance segments above TAIL fall off as exp(-scale * S); scale and rate per
+    token are fitted to the segments of the labelled clean texts. The cut is
+    the number of expected chance segments, SIGNIFICANT at most, with the best F1 over the labelled
+    texts, their segments taken together.
     """
-    best = [(max((s[2] for s in scorer.segments(w)), default=0.0), max(1, len(w)), p) for w, p in docs]
-    clean = [(b, n) for b, n, p in best if p < 0.5]
+    found = [([x[2] for x in scorer.segments(w)], max(1, len(w)), p) for w, p in docs]
+    clean = [x for x in found if x[2] < 0.5]
     if not clean:
         return scorer
-    tokens = sum(n for _, n in clean)
-    scorer.rate = max(1.0, sum(b > 1.0 for b, _ in clean) * math.e) / tokens
-    n = tokens / len(clean)
-    rows = sorted((scorer.expected(b, m), p) for b, m, p in best if p != 0.5)
-    total, hit, false, top = sum(p > 0.5 for _, p in rows), 0.0, 0.0, (-1.0, scorer.expected(4.0, n))
+    tail = [x for scores, _, _ in clean for x in scores if x > TAIL]
+    prior = [-math.log(1 - (k + 0.5) / TAIL_PRIOR) for k in range(TAIL_PRIOR)]  # scores are log-likelihood ratios: scale 1
+    scorer.scale = math.log(2) / float(np.median([x - TAIL for x in tail] + prior))  # wrongly rated texts hardly move it
+    scorer.floor = TAIL
+    scorer.rate = max(1.0, len(tail)) / sum(n for _, n, _ in clean)
+    rows = sorted((scorer.together(scores, n), p) for scores, n, p in found if p != 0.5 and scores)
+    total, hit, false = sum(p > 0.5 for _, _, p in found), 0.0, 0.0
+    top, scorer.most_expected = -1.0, 1e-3
     for k, (e, p) in enumerate(rows):
         hit, false = hit + (p > 0.5), false + clean_weight * (p < 0.5)
         f1 = 2 * hit / (hit + false + total)
-        if math.isfinite(e) and f1 > top[0]:
-            after = rows[k + 1][0] if k + 1 < len(rows) and math.isfinite(rows[k + 1][0]) else scorer.expected(3.0, n)
-            top = (f1, math.sqrt(e * max(after, e)))
-    scorer.most_expected = min(max(top[1], scorer.expected(8.0, n)), scorer.expected(3.0, n))
+        if f1 > top:
+            after = rows[k + 1][0] if k + 1 < len(rows) else e
+            top, scorer.most_expected = f1, min(math.sqrt(e * max(after, e)), SIGNIFICANT)
     return scorer
 
 
@@ -261,24 +268,66 @@ def _lists(batch) -> list[list[str]]:
     return [t.split(" ") if t else [] for t in batch.column(1).to_pylist()]
 
 
-def _tally(tokens: DataFrame, of) -> Counter:
-    """Sum of the counters that ``of`` makes of each text, combined per task, then by token."""
+def _counts(tokens: DataFrame, of) -> DataFrame:
+    """``f, n``: sums of the counters that ``of`` makes of each batch of texts, combined per task, then by token."""
 
     def op(batches):
+        count = of()
         total: Counter = Counter()
         for b in batches:
-            for words in _lists(b):
-                total.update(of(words))
+            count(_lists(b), total)
             if len(total) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array([float(v) for v in total.values()])], names=["f", "n"])
                 total = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array([float(v) for v in total.values()])], names=["f", "n"])
 
-    summed = tokens.mapInArrow(op, "f string, n double").groupBy("f").agg(F.sum("n").alias("n"))
-    got = summed.orderBy(F.desc("n"), "f").limit(MOST_TOKENS).toArrow()
+    return tokens.mapInArrow(op, "f string, n double").groupBy("f").agg(F.sum("n").alias("n"))
+
+
+def _told(counts: DataFrame) -> Counter:
+    got = counts.toArrow()
     return Counter(dict(zip(got["f"].to_pylist(), got["n"].to_pylist())))
 
 
+def _texts_with(tokens: DataFrame, wanted: frozenset[str]) -> Counter:
+    """Number of texts that hold each of the ``wanted`` tokens and bigrams; the result is no larger than these."""
+    shared = tokens.sparkSession.sparkContext.broadcast(wanted)
+
+    def of():
+        held = shared.value
+        words = {w for f in held for w in f.split(" ")}
+        place = {w: k for k, w in enumerate(sorted(words))}
+        names = sorted(place)
+        size = len(place) + 1
+        pairs = {place[f.split(" ")[0]] * size + place[f.split(" ")[1]]: f for f in held if " " in f}
+        keys = np.array(sorted(pairs) + [np.iinfo(np.int64).max])
+        single = np.array([n in held for n in names] + [False])
+
+        def count(lists, total):
+            get = place.get
+            other = size - 1
+            ids = np.array([get(w, other) for words in lists for w in words], np.int64)
+            sizes = np.array([len(w) for w in lists], np.int64)
+            if not len(ids):
+                return
+            text = np.repeat(np.arange(len(lists)), sizes)
+            w = single[ids]
+            seen = np.unique(text[w] * size + ids[w]) % size
+            for k, n in zip(*np.unique(seen, return_counts=True)):
+                total[names[k]] += int(n)
+            same = text[1:] == text[:-1]
+            pair = (ids[:-1] * size + ids[1:])[same]
+            at = np.searchsorted(keys, pair)
+            hit = keys[at] == pair
+            seen = np.unique(text[1:][same][hit] * len(keys) + at[hit]) % len(keys)
+            for k, n in zip(*np.unique(seen, return_counts=True)):
+                total[pairs[int(keys[k])]] += int(n)
+
+        return count
+
+    return _told(_counts(tokens, of))
+
+
 def train(tokens: DataFrame, labels: DataFrame, rounds: int = 4, most_labelled: int = MOST_LABELLED) -> Scorer:
     """Scorer fitted on a bounded number of labelled texts, then on the whole corpus.
 
@@ -292,40 +341,102 @@ def train(tokens: DataFrame, labels: DataFrame, rounds: int = 4, most_labelled:
     rows = tokens.join(chosen, "doc_id").select("toks", "p").toArrow()
     docs = [(t.split(" ") if t else [], p) for t, p in zip(rows["toks"].to_pylist(), rows["p"].to_pylist())]
     size = float(tokens.count())
-    vocabulary = set(SEEDS)
+    vocabulary: set[str] = set()
     for words, _ in docs:
         vocabulary |= features(words)
     spark = tokens.sparkSession
-    shared = spark.sparkContext.broadcast(frozenset(vocabulary))  # bounded by MOST_LABELLED
-    every = _tally(tokens, lambda words: features(words) & shared.value)
+    every = _texts_with(tokens, frozenset(vocabulary))  # bounded by MOST_LABELLED
     scorer = fit_labelled(docs, every, size)
     for _ in range(rounds):
         told = spark.sparkContext.broadcast(scorer)
 
-        def inside(words):
+        def of(told=told):
             s = told.value
-            found = s.segments(words)
-            if not found or max(x[2] for x in found) < CONFIDENT:
-                return ()
-            known = [s.known(w) for w in words]
-            own: set[str] = {"\n"}  # counts the texts
-            for a, b, score in found:
-                if score >= CONFIDENT / 2:
-                    own |= features(known[a:b])
-            return own
-
-        held = _tally(tokens, inside)
-        n_inside = held.pop("\n", 0.0)
+            batch = Batch(s)
+
+            def count(lists, total):
+                for k in np.nonzero(batch.best(lists) >= CONFIDENT - 1e-6)[0]:
+                    known = [s.known(w) for w in lists[k]]
+                    own: set[str] = {"\n"}  # counts the texts
+                    for a, b, score in s.segments(lists[k]):
+                        if score >= CONFIDENT / 2:
+                            own |= features(known[a:b])
+                    total.update(own)
+
+            return count
+
+        found = materialise(_counts(tokens, of), "inside")
+        n_inside = found.where(F.col("f") == "\n").agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
         if not n_inside:
             break
+        held = _told(found.where((F.col("f") != "\n") & (F.col("n") >= n_inside / RARE)))
         fresh = frozenset(f for f in held if f not in every)
         if fresh:
-            more = spark.sparkContext.broadcast(fresh)
-            every.update(_tally(tokens, lambda words: features(words) & more.value))
+            every.update(_texts_with(tokens, fresh))
         scorer = refit(held, every, n_inside, size)
     return settle(scorer, docs)
 
 
+class Batch:
+    """Scores of whole batches of texts at once, with the arrays of a scorer."""
+
+    def __init__(self, scorer: Scorer):
+        self.scorer = scorer
+        words = sorted({w for f in scorer.odds for w in f.split(" ")})
+        self.place = {w: k + 2 for k, w in enumerate(words)} | {w: 1 for w in _END}  # 0: unknown, 1: sentence end
+        self.odds = np.zeros(len(words) + 2)
+        pairs = []
+        for f, d in scorer.odds.items():
+            if " " in f:
+                a, b = f.split(" ")
+                pairs.append((self.place[a] * len(self.odds) + self.place[b], d))
+            else:
+                self.odds[self.place[f]] = d
+        pairs.sort()
+        self.keys, self.pair_odds = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max]), np.array([d for _, d in pairs] + [0.0])
+        self.memo: dict[str, int] = {}
+
+    def ids(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all words, and the number of words of each text."""
+        memo = self.memo
+        if len(memo) > 500_000:
+            memo.clear()
+        out: list[int] = []
+        for words in lists:
+            try:
+                out += [memo[w] for w in words]
+            except KeyError:
+                for w in words:
+                    if w not in memo:
+                        memo[w] = self.place.get(self.scorer.known(w), 0)
+                out += [memo[w] for w in words]
+        return np.array(out, np.int64), np.array([len(w) for w in lists], np.int64)
+
+    def best(self, lists: list[list[str]]) -> np.ndarray:
+        """Score of each text's best segment."""
+        ids, sizes = self.ids(lists)
+        out = np.zeros(len(lists))
+        if not len(ids):
+            return out
+        starts = np.cumsum(sizes) - sizes
+        score = self.odds[ids] + DRIFT
+        pair = np.empty(len(ids), np.int64)
+        pair[0], pair[1:] = -1, ids[:-1] * len(self.odds) + ids[1:]
+        at = np.searchsorted(self.keys, pair)
+        hit = self.keys[at] == pair
+        hit[starts[sizes > 0]] = False  # no pair across texts
+        score[hit] += self.pair_odds[at[hit]]
+        score[ids == 1] = SENTENCE_END
+        after = np.cumsum(score)
+        before = after - score
+        text = np.repeat(np.arange(len(lists)), sizes)
+        fall = 2 * (np.abs(after).max() + 1) * text  # each text starts below the one before
+        low = np.minimum.accumulate(before - fall) + fall
+        some = sizes > 0
+        out[some] = np.maximum(np.maximum.reduceat(after - low, starts[some]), 0.0)
+        return out
+
+
 PASSAGES = "doc_id long, tokens int, score double, expected double, flagged boolean, passages array<struct<first:int,last:int,score:double,text:string>>"
 
 
@@ -335,21 +446,25 @@ def score_texts(documents: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 
     Null and blank texts score 0 and are never flagged; very long texts are
     scanned whole in linear time; repeated rows are scored each; without any
-    labels the prior's seed words alone decide; further columns are ignored.
+    labels nothing is flagged; further columns are ignored.
     """
     tokens = token_table(documents)
     scorer = tokens.sparkSession.sparkContext.broadcast(train(tokens, labels, **kw))
 
     def op(batches):
         s = scorer.value
+        batch = Batch(s)
         for b in batches:
             rows = []
-            for words in _lists(b):
-                found = s.segments(words)
-                best = max((x[2] for x in found), default=0.0)
-                e = s.expected(best, len(words))
-                kept = [{"first": a, "last": z - 1, "score": sc, "text": " ".join(words[a:z])} for a, z, sc in found if s.expected(sc, len(words)) <= s.most_expected]
-                rows.append((len(words), best, min(e, 1e9), bool(kept), kept))
+            lists = _lists(b)
+            for words, best in zip(lists, batch.best(lists).tolist()):
+                e, kept, flagged = s.expected(best, len(words)), [], False
+                if best > TAIL:
+                    found = s.segments(words)
+                    e = s.together([x[2] for x in found], max(1, len(words)))
+                    flagged = e <= s.most_expected
+                    kept = [{"first": a, "last": z - 1, "score": sc, "text": " ".join(words[a:z])} for a, z, sc in found if flagged and sc > TAIL]
+                rows.append((len(words), best, min(e, 1e9), flagged, kept))
             cols = list(zip(*rows)) or [[]] * 5
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], kind)], names=["doc_id", "tokens", "score", "expected", "flagged", "passages"])
