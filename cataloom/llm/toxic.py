@@ -229,7 +229,7 @@ def settle(scorer: Scorer, docs: list[tuple[list[str], float]], clean_weight: fl
 
     Chance segments above TAIL fall off as exp(-scale * S); scale and rate per
     token are fitted to the segments of the labelled clean texts. The cut is
-    the number of expected chance segments, SIGNIFICANT at most, with the best F1 over the labelled
+    the largest number of expected chance segments, SIGNIFICANT at most, with the best F1 over the labelled
     texts, their segments taken together.
     """
     found = [([x[2] for x in scorer.segments(w)], max(1, len(w)), p) for w, p in docs]
@@ -248,8 +248,8 @@ def settle(scorer: Scorer, docs: list[tuple[list[str], float]], clean_weight: fl
         hit, false = hit + (p > 0.5), false + clean_weight * (p < 0.5)
         f1 = 2 * hit / (hit + false + total)
         if f1 > top:
-            after = rows[k + 1][0] if k + 1 < len(rows) else e
-            top, scorer.most_expected = f1, min(math.sqrt(e * max(after, e)), SIGNIFICANT)
+            after = rows[k + 1][0] if k + 1 < len(rows) else math.inf
+            top, scorer.most_expected = f1, min(max(e, after * (1 - 1e-9)), SIGNIFICANT)
     return scorer
 
 
