@@ -73,6 +73,8 @@ near as (select a, b, d from d where d <= 0.35 union all select b, a, d from d w
 """
 
 SQL = {
+    # characters stand for tokens; the margins hold for any tokenizer
+    "p9_found": "with d as (select lower(trim(source)) s, sum(length(text)) n from documents group by 1), t as (select sum(n) total from d) select m.source from mix_targets m join t on true left join d on d.s = lower(trim(m.source)) where m.max_repeats * coalesce(d.n, 0) < m.target_share * t.total",
     "p1_found": _USABLE + "select a as id, least(a, min(b)) as cluster_id from near group by a",
     "p3_found": _USABLE + ", r as (select a, b, row_number() over (partition by a order by d, b) r from near) select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where r <= 3",
     "p7_found": """
