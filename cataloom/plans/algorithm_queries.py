@@ -28,7 +28,7 @@ def _(t):
     return vectors.search(e.where(F.col("vec_id") % 100 == 0), e, "vec_id", "vec_id", "embedding", within=0.7).select("index_id").distinct()
 
 
-@q.add("jv_nearest_faces")
+@q.add("jv_nearest_faces", "with u as (select id, any_value(embedding)::double[128] v from scene_face_embeddings where len(embedding) = 128 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by id), d as (select q.id as query_id, e.id as index_id, greatest(round(1 - array_cosine_similarity(q.v, e.v), 9), 0) as distance from u q join u e on q.id % 100 = 0) select *, row_number() over (partition by query_id order by distance, index_id) as rank from d qualify row_number() over (partition by query_id order by distance, index_id) <= 4")
 def _(t):
     """The three nearest faces of every hundredth face id, against all faces."""
     f = t("scene_face_embeddings").where(F.size("embedding") == 128)
