@@ -389,4 +389,83 @@ def _(t):
     return g.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+# ---- scans, sinks and incremental runs
+
+
+@q.add("s8_full_counts", "select 'scene' as entity, count(distinct scene_id) as n from scene union all select 'performer', count(distinct stash_box_id) from performer_snapshot union all select 'library', count(distinct id) from search_performer")
+def _(t):
+    parts = [t(n).agg(F.countDistinct(k).alias("n")).select(F.lit(e).alias("entity"), "n") for e, n, k in (("scene", "scene", "scene_id"), ("performer", "performer_snapshot", "stash_box_id"), ("library", "search_performer", "id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@q.add("s9_changed_page", f"select scene_id, count(*) over () as total from {_SCENES} where updated_at > timestamp '2024-06-01' order by updated_at, scene_id limit 25 offset 25")
+def _(t):
+    """The second page of the scenes changed since, with the number of all of them."""
+    s = scenes(t).where(F.col("updated_at") > F.lit("2024-06-01").cast("timestamp_ntz")).select("scene_id", "updated_at")
+    page = s.orderBy("updated_at", "scene_id").offset(25).limit(25)
+    return page.join(F.broadcast(s.agg(F.count("*").alias("total")))).select("scene_id", "total")  # one row
+
+
+@q.add("s12_hash_lookups", "select f.id, count(distinct c.id) as matches from (select distinct id, lower(trim(image_sha256)) h from faces) f join (select distinct id, lower(trim(image_sha256)) h from face_change where image_sha256 is not null) c using (h) group by 1")
+def _(t):
+    """Stored hashes looked up among the delivered ones, all at once instead of forty a request."""
+    h = lambda df: df.select("id", F.lower(F.trim("image_sha256")).alias("h")).where("h is not null").distinct()
+    return h(t("faces")).join(h(t("face_change")).withColumnRenamed("id", "other"), "h").groupBy("id").agg(F.countDistinct("other").alias("matches"))
+
+
+@q.add("s13_remote_records", f"select distinct s.id, k.stash_id, l.name, l.country from (select id, unnest(stash_ids) k from search_performer) s join {_LATEST} l on l.stash_box_id = s.k.stash_id")
+def _(t):
+    e = t("search_performer").select("id", F.explode("stash_ids").alias("k")).select("id", F.col("k.stash_id").alias("stash_id"))
+    return e.join(latest(t).select(F.col("stash_box_id").alias("stash_id"), "name", "country"), "stash_id").select("id", "stash_id", "name", "country").distinct()
+
+
+@q.add("w8_exported_faces", f"with g as (select unnest(generate_series(0, (select max(embedding_index) from faces))) i), f as (select embedding_index i, min(id) id, min(performer_id) p from faces group by 1), l as (select performer_id p, min(name) name from {_LATEST} group by 1) select g.i as embedding_index, f.id, l.name from g left join f using (i) left join l on l.p = f.p")
+def _(t):
+    """The export by place, gaps filled with nulls, written and read as JSON."""
+    from cataloom.workspace import shared_folder
+
+    import uuid
+
+    top = t("faces").agg(F.max("embedding_index")).first()[0]
+    f = t("faces").groupBy("embedding_index").agg(F.min("id").alias("id"), F.min("performer_id").alias("performer_id"))
+    l = latest(t).groupBy("performer_id").agg(F.min("name").alias("name"))
+    spark = f.sparkSession
+    places = spark.range(int(top if top is not None else -1) + 1).withColumnRenamed("id", "embedding_index")
+    out = places.join(f, "embedding_index", "left").join(l, "performer_id", "left").select("embedding_index", "id", "name")
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    out.write.option("ignoreNullFields", "false").json(path)
+    return spark.read.schema("embedding_index long, id long, name string").json(path)
+
+
+_MARKS = "m as (select event_type, max(ts) filter (event_id % 2 = 0) mark, count(*) filter (value is null or value < 0) skipped from events group by 1)"
+
+
+@q.add("t4_withheld_marks", f"with {_MARKS}, n as (select event_type, max(ts) newest from events group by 1) select event_type, case when skipped > 0 then mark else newest end as watermark from m join n using (event_type)")
+def _(t):
+    """A mark moves only where nothing was skipped."""
+    return t("events").groupBy("event_type").agg(F.when(F.count_if(F.col("value").isNull() | (F.col("value") < 0)) > 0, F.max(F.when(F.col("event_id") % 2 == 0, F.col("ts")))).otherwise(F.max("ts")).alias("watermark"))
+
+
+@q.add("t5_advanced_marks", "select event_type, max(ts) as watermark from events group by 1")
+def _(t):
+    """The upstream run's mark moves whatever failed."""
+    return t("events").groupBy("event_type").agg(F.max("ts").alias("watermark"))
+
+
+@q.add("t3_kept_snapshots", "select stash_box_id, snapshot_no from (select distinct stash_box_id, snapshot_no, endpoint from performer_snapshot) where snapshot_no = case when endpoint like '%boxnorth%' then 4 else 3 end")
+def _(t):
+    """Snapshots taken under the logic version in force at their endpoint; the others ask for a full run."""
+    p = t("performer_snapshot").select("stash_box_id", "snapshot_no", "endpoint").distinct()
+    return p.where(F.col("snapshot_no") == F.when(F.col("endpoint").contains("boxnorth"), 4).otherwise(3)).select("stash_box_id", "snapshot_no")
+
+
+@q.add("t6_resumed_jobs", "with j as (select user_id k, count(*) n, max(event_id) filter (event_type <> 'error') pos from events group by 1) select k as job, coalesce(pos, -1) + 1 as resume_from, (select count(*) from events e where e.user_id = j.k and e.event_id > coalesce(j.pos, -1)) as left_over from j")
+def _(t):
+    """Where each interrupted job goes on: behind the last step that ended well."""
+    ok = F.when(F.col("event_type") != "error", F.col("event_id"))
+    w = Window.partitionBy("user_id")
+    e = t("events").select("user_id", "event_id", F.max(ok).over(w).alias("at"))
+    return e.groupBy(F.col("user_id").alias("job")).agg((F.coalesce(F.max("at"), F.lit(-1)) + 1).alias("resume_from"), F.count_if(F.col("event_id") > F.coalesce("at", F.lit(-1))).alias("left_over"))
+
+
 QUERIES, SQL = q.QUERIES, q.SQL
