@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,46 +74,121 @@ def scored_pairs(scenes: DataFrame, least: float = 0.0) -> DataFrame:
     return out.withColumn("label", F.when(F.col("confidence") >= 80, "high").when(F.col("confidence") >= 50, "medium").otherwise("low"))
 
 
+#: Rows whose products with the means are taken at once, means up to which they are simply compared, and means a product holds.
+FOLD_ROWS, FEW_MEANS, STRIP_MEANS = 256, 512, 16_384
+#: Room for the error of products in single precision; what lies within it is told in double precision.
+FOLD_ROOM = 1e-5
+
+
+class _Means:
+    """Running sums of the clusters of one group and one length of vectors, in the order of opening."""
+
+    def __init__(self, dim: int, limit: float) -> None:
+        self.limit, self.n, self.numbers = limit, 0, []
+        self.sums, self.norms, self.units = np.zeros((8, dim)), np.zeros(8), np.zeros((8, dim), np.float32)
+
+    def _keep(self, at: int, total: np.ndarray) -> None:
+        if at == len(self.sums):
+            self.sums, self.norms, self.units = (np.concatenate([a, np.zeros_like(a)]) for a in (self.sums, self.norms, self.units))
+        norm = math.sqrt(total @ total)
+        self.sums[at], self.norms[at] = total, norm or math.inf
+        self.units[at] = total / self.norms[at]
+
+    def _near(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each unit row the means that may lie within the limit."""
+        x, least = x.astype(np.float32), np.float32(1 - self.limit - FOLD_ROOM)
+        rows, means = [], []
+        for s in range(0, self.n, STRIP_MEANS):
+            like = x @ self.units[s : min(s + STRIP_MEANS, self.n)].T
+            i, j = np.divmod(np.flatnonzero(like >= least), like.shape[1])
+            rows.append(i)
+            means.append(j + s)
+        rows, means = np.concatenate(rows), np.concatenate(means)
+        means = means[np.argsort(rows, kind="stable")]
+        return np.split(means, np.cumsum(np.bincount(rows, minlength=len(x)))[:-1])
+
+    def join(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cluster (in the order of opening) of each row, and whether the row opens it."""
+        at, opened = np.empty(len(x), np.int64), np.zeros(len(x), bool)
+        sizes = np.linalg.norm(x, axis=1)
+        for s in range(0, len(x), FOLD_ROWS):
+            part = x[s : s + FOLD_ROWS]
+            near = self._near(part / sizes[s : s + FOLD_ROWS, None]) if self.n > FEW_MEANS else None
+            moved: list[int] = []  # since the products were taken
+            for i, v in enumerate(part):
+                held = np.concatenate([near[i], np.array(moved, np.int64)]) if near is not None else np.arange(self.n)
+                best = -1
+                if len(held):
+                    sums, norms = (self.sums[: self.n], self.norms[: self.n]) if near is None else (self.sums[held], self.norms[held])
+                    d = 1 - (sums @ v) / (norms * sizes[s + i])
+                    least = d.min()
+                    if least < self.limit:
+                        best = int(held[d == least].min())
+                if best < 0:
+                    best, opened[s + i] = self.n, True
+                    self._keep(best, v)
+                    self.n += 1
+                else:
+                    self._keep(best, self.sums[best] + v)
+                at[s + i] = best
+                if near is not None and (not moved or best != moved[-1]):
+                    moved.append(best)
+        return at, opened
+
+
 def online_clusters(faces: DataFrame, group: str, order: list[str], row_id: str, vector: str, limit: float = 0.6) -> DataFrame:
     """``group, row_id, cluster``: each row joins the nearest mean of its group within ``limit``, else opens a cluster.
 
-    The result depends on the order of rows, so a group is folded in one task;
-    it keeps the running sums of its clusters only, and rows arrive as Arrow
-    batches. Directions of means are compared, so sums serve; an unusable vector
+    The result depends on the order of rows (nulls last), so a group is folded
+    in one task, to which its rows come in order and in Arrow batches; it keeps the
+    running sums of one group's clusters only. Directions of means are compared,
+    so sums serve; the means that may be near come from products of many rows
+    in single precision, the nearest is told in double precision. An unusable vector
     (null, empty, non-finite or all zero) opens a cluster that no other row joins.
+    A row repeated under its id, group and order counts once.
     """
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        rows = [np.asarray(v, np.float64) if v is not None else np.zeros(0) for v in pdf[vector]]
-        sums: dict[int, np.ndarray] = {}  # by length of the vectors: sums of the clusters, one line each
-        names: dict[int, list[int]] = {}
-        count = 0
-        out = []
-        for x in rows:
-            at = -1
-            if len(x) and np.isfinite(x).all() and x.any():
-                held = names.setdefault(len(x), [])
-                table = sums.setdefault(len(x), np.zeros((8, len(x))))
-                means = table[: len(held)]
-                size = np.linalg.norm(means, axis=1) * np.linalg.norm(x)
-                d = 1 - np.divide(means @ x, size, out=np.zeros(len(held)), where=size > 0)
-                best = int(d.argmin()) if len(held) else -1
-                if best >= 0 and d[best] < limit:
-                    table[best] += x
-                    at = held[best]
-                else:
-                    if len(held) == len(table):
-                        sums[len(x)] = table = np.concatenate([table, np.zeros_like(table)])
-                    table[len(held)] = x
-                    held.append(count)
-            if at < 0:
-                at, count = count, count + 1
-            out.append(at)
-        return pd.DataFrame({group: key[0], row_id: pdf[row_id].to_numpy(), "cluster": out})
+    def fold(batches):
+        now, means, count, before = None, {}, 0, None
+        for batch in batches:
+            column = batch.column(2)
+            values, offsets = column.values, np.asarray(column.offsets)
+            flat = np.asarray(values.cast(pa.float64()).fill_null(math.nan))
+            sizes = np.where(np.asarray(column.is_valid()), np.diff(offsets), 0)
+            groups, keys = batch.column(0).to_pylist(), list(zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns) if k != 2]))
+            fresh = np.array([a != b for a, b in zip(keys, [before, *keys[:-1]])], bool)
+            before = keys[-1] if keys else before
+            starts = [i for i in range(len(groups)) if i == 0 or groups[i] != groups[i - 1]] + [len(groups)]
+            cluster = np.empty(len(groups), np.int64)
+            for s, e in zip(starts[:-1], starts[1:]):
+                if groups[s] != now or now is None and not (s == 0 and count):
+                    now, means, count = groups[s], {}, 0
+                rows = s + np.nonzero(fresh[s:e])[0]
+                opened, joined = np.ones(e - s, bool), {}
+                for size in np.unique(sizes[rows]):
+                    own = rows[sizes[rows] == size]
+                    x = flat[offsets[own][:, None] + np.arange(size)]
+                    good = np.isfinite(x).all(1) & (x != 0).any(1)
+                    if good.any():
+                        m = means.setdefault(int(size), _Means(int(size), limit))
+                        at, new = m.join(x[good])
+                        opened[own[good] - s] = new
+                        joined |= dict(zip(own[good].tolist(), zip([m] * len(at), at.tolist())))
+                for i in rows.tolist():
+                    m, at = joined.get(i, (None, -1))
+                    if opened[i - s]:
+                        cluster[i], count = count, count + 1
+                        if m is not None:
+                            m.numbers.append(count - 1)
+                    else:
+                        cluster[i] = m.numbers[at]
+            kept = pa.array(np.nonzero(fresh)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(cluster[fresh].astype(np.int32))], names=[group, row_id, "cluster"])
 
     kind = dict(faces.dtypes)
-    return faces.select(*dict.fromkeys([group, row_id, *order, vector])).groupBy(group).applyInPandas(fold, f"`{group}` {kind[group]}, `{row_id}` {kind[row_id]}, cluster int")
+    rows = faces.select(*dict.fromkeys([group, row_id, vector, *order]))
+    sorted_rows = rows.repartition(group).sortWithinPartitions(group, *[F.asc_nulls_last(c) for c in dict.fromkeys([*order, row_id])])
+    return sorted_rows.mapInArrow(fold, f"`{group}` {kind[group]}, `{row_id}` {kind[row_id]}, cluster int")
 
 
 def greedy_identities(votes: DataFrame, group: str, cluster: str, size: str, identity: str, score: str) -> DataFrame:

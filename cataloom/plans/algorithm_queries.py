@@ -83,16 +83,14 @@ def _(t):
 
 @q.add("k7_scene_clusters")
 def _(t):
-    """Faces of every scene clustered in the order of frames and ids."""
-    f = t("scene_face_embeddings").select("id", "stash_scene_id", "frame_index", "embedding").dropDuplicates(["id"])
-    return scoring.online_clusters(f, "stash_scene_id", ["frame_index", "id"], "id", "embedding")
+    """Faces of every scene clustered in the order of frames and ids; rows repeated whole count once."""
+    return scoring.online_clusters(t("scene_face_embeddings"), "stash_scene_id", ["frame_index", "id"], "id", "embedding")
 
 
 @q.add("k10_cluster_identities")
 def _(t):
     """Clusters of every scene with the identity that votes and size give them."""
-    f = t("scene_face_embeddings").select("id", "stash_scene_id", "frame_index", "embedding").dropDuplicates(["id"])
-    c = scoring.online_clusters(f, "stash_scene_id", ["frame_index", "id"], "id", "embedding")
+    c = scoring.online_clusters(t("scene_face_embeddings"), "stash_scene_id", ["frame_index", "id"], "id", "embedding")
     size = Window.partitionBy("stash_scene_id", "cluster")
     m = t("performer_match").where("distance <= 0.5").groupBy(F.col("face_id").alias("id"), "stashdb_id").agg(F.min("distance").alias("d"))
     v = c.withColumn("size", F.count("*").over(size)).join(m, "id").groupBy("stash_scene_id", "cluster", "size", "stashdb_id").agg(F.count("*").alias("n"), F.min("d").alias("d"))

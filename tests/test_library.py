@@ -174,6 +174,30 @@ def test_online_clusters(spark):
     assert got == {2: 0, 1: 0, 3: 1, 4: 2, 9: 0}
 
 
+def test_online_clusters_with_many_means(spark):
+    rng = np.random.RandomState(5)
+    x = np.concatenate([rng.randn(900, 100), rng.randn(300, 100)[rng.randint(300, size=900)] + 0.4 * rng.randn(900, 100)])
+    bad = [[], None, [0.0] * 100, [float("nan")] * 100, [1.0, 2.0], [2.0, 4.0]]
+    vectors_ = [*x.tolist(), *bad]
+    rows = [(g, i, i // 2, v) for g in (1, None) for i, v in enumerate(vectors_) if g or i % 3 == 0]
+    means, want, count = [], {}, 0
+    for i, v in enumerate(x):
+        m = np.array(means).reshape(-1, 100)
+        d = 1 - m @ v / (np.linalg.norm(m, axis=1) * np.linalg.norm(v))
+        if len(d) and d.min() < 0.6:
+            want[i] = int(np.argmin(d))
+            means[want[i]] = means[want[i]] + v
+        else:
+            want[i], count = count, count + 1
+            means.append(v)
+    assert len(means) > scoring.FEW_MEANS + scoring.FOLD_ROWS
+    want |= {1800: count, 1801: count + 1, 1802: count + 2, 1803: count + 3, 1804: count + 4, 1805: count + 4}
+    df = spark.createDataFrame(rows + rows[:40], "g long, id long, f int, v array<double>")
+    found = scoring.online_clusters(df, "g", ["f", "id"], "id", "v").collect()
+    got = {r["id"]: r["cluster"] for r in found if r["g"] == 1}
+    assert got == want and len(found) == len(rows)
+
+
 def test_greedy_identities(spark):
     rows = [(1, 0, 9, "a", 0.9), (1, 0, 9, "b", 0.5), (1, 1, 4, "a", 0.95), (1, 1, 4, "b", 0.4), (1, 2, 2, "a", 1.0)]
     out = scoring.greedy_identities(spark.createDataFrame(rows, "g long, c int, n int, i string, s double"), "g", "c", "n", "i", "s")
