@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,17 +191,27 @@ def online_clusters(faces: DataFrame, group: str, order: list[str], row_id: str,
 
 
 def greedy_identities(votes: DataFrame, group: str, cluster: str, size: str, identity: str, score: str) -> DataFrame:
-    """Clusters by size take their best identity that no earlier cluster of the group has taken."""
-
-    def pick(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for (_, c), part in sorted(pdf.groupby([size, cluster]), key=lambda g: (-g[0][0], g[0][1])):
-            for _, r in part.sort_values([score, identity], ascending=[False, True]).iterrows():
-                if r[identity] not in taken:
-                    taken.add(r[identity])
-                    out.append((key[0], c, r[identity], r[score]))
-                    break
-        return pd.DataFrame(out, columns=[group, cluster, identity, score])
+    """Clusters by size take their best identity that no earlier cluster of the group has taken.
+
+    A group's votes come in that order, nulls last, and only the identities taken in one group are kept.
+    """
+
+    def pick(batches):
+        now, taken, done, held = None, set(), None, False
+        for batch in batches:
+            kept = []
+            for i, (g, c, n, name) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(4)])):
+                if not held or g != now:
+                    now, taken, done, held = g, set(), None, True
+                if (n, c) != done and name not in taken:
+                    taken.add(name)
+                    done = (n, c)
+                    kept.append(i)
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(k) for k in (0, 1, 3, 4)], names=[group, cluster, identity, score])
 
     kind = dict(votes.dtypes)
-    return votes.groupBy(group).applyInPandas(pick, f"`{group}` {kind[group]}, `{cluster}` {kind[cluster]}, `{identity}` {kind[identity]}, `{score}` double")
+    rows = votes.where(F.col(size).isNotNull() & F.col(cluster).isNotNull()).select(group, cluster, size, identity, F.col(score).cast("double").alias(score))
+    best = F.desc_nulls_last(F.when(~F.isnan(score), F.col(score)))
+    sorted_rows = rows.repartition(group).sortWithinPartitions(group, F.desc(size), cluster, best, F.asc_nulls_last(identity))
+    return sorted_rows.mapInArrow(pick, f"`{group}` {kind[group]}, `{cluster}` {kind[cluster]}, `{identity}` {kind[identity]}, `{score}` double")

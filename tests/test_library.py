@@ -198,6 +198,13 @@ def test_online_clusters_with_many_means(spark):
     assert got == want and len(found) == len(rows)
 
 
+def test_greedy_identities_of_many_groups_in_few_tasks(spark):
+    rows = [(g, c, 9 - c, i, s) for g in range(3000) for c, i, s in ((0, "a", 0.9), (0, "b", 0.5), (1, "a", 0.95), (1, "b", 0.4), (2, "a", 1.0))]
+    out = scoring.greedy_identities(spark.createDataFrame(rows, "g long, c int, n int, i string, s double"), "g", "c", "n", "i", "s")
+    assert sorted((r["g"], r["c"], r["i"]) for r in out.collect()) == [(g, c, i) for g in range(3000) for c, i in ((0, "a"), (1, "b"))]
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # one call a group took as long as all else
+
+
 def test_greedy_identities(spark):
     rows = [(1, 0, 9, "a", 0.9), (1, 0, 9, "b", 0.5), (1, 1, 4, "a", 0.95), (1, 1, 4, "b", 0.4), (1, 2, 2, "a", 1.0)]
     out = scoring.greedy_identities(spark.createDataFrame(rows, "g long, c int, n int, i string, s double"), "g", "c", "n", "i", "s")
