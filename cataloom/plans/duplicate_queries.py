@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from cataloom.operators import scoring, vectors
 from cataloom.plans.matching_queries import _USABLE, usable
 from cataloom.plans.registry import Queries
 from cataloom.plans.relational_queries import _SCENES, _VOTE, scenes, votes
+from cataloom.workspace import materialise
 
 q = Queries()
 
@@ -138,18 +141,56 @@ def _(t):
 
 
 def centroids(t) -> DataFrame:
-    """``scene, mean``: the mean vector of every scene's usable faces, summed per task before the shuffle."""
-    e = usable(t).join(t("scene_face_embeddings").select("id", "stash_scene_id").distinct(), "id").where("stash_scene_id is not null")
-    long = e.select("stash_scene_id", F.posexplode("embedding").alias("k", "x")).groupBy("stash_scene_id", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return long.groupBy(F.col("stash_scene_id").alias("scene")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("mean"))
+    """``scene, mean``: the mean vector of every scene's usable faces.
+
+    A scene's rows come sorted by id and in Arrow batches, so one sum a task is
+    kept; an id that is repeated in a scene counts once.
+    """
+    dim = 128
+
+    def fold(batches):
+        now, total, n, before = None, np.zeros(dim), 0, None
+
+        def told(scenes, means):
+            return pa.RecordBatch.from_arrays([pa.array(scenes, pa.int64()), pa.array(means, pa.list_(pa.float64()))], names=["scene", "mean"])
+
+        for batch in batches:
+            rows, x = vectors.matrices(batch.column(2), scaled=False).get(dim, (np.empty(0, int), np.empty((0, dim))))
+            rows, x = rows[(x != 0).any(1)], x[(x != 0).any(1)]
+            scene, ids = (np.asarray(batch.column(k).take(pa.array(rows))) for k in (0, 1))
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (scene[1:] != scene[:-1]) | (ids[1:] != ids[:-1])
+            if len(rows):
+                fresh[0] = (scene[0], ids[0]) != before
+                before = (scene[-1], ids[-1])
+            scene, x = scene[fresh], x[fresh]
+            if not len(scene):
+                continue
+            starts = np.nonzero(np.diff(scene, prepend=scene[0] - 1))[0]
+            sums, counts = np.add.reduceat(x, starts, axis=0), np.diff(np.append(starts, len(scene)))
+            out, means = [], []
+            for s, more, m in zip(scene[starts].tolist(), sums, counts.tolist()):
+                if n and s != now:
+                    out.append(now)
+                    means.append(total / n)
+                    total, n = np.zeros(dim), 0
+                now, total, n = s, total + more, n + m
+            yield told(out, means)
+        if n:
+            yield told([now], [total / n])
+
+    rows = t("scene_face_embeddings").where("id is not null and stash_scene_id is not null").select(F.col("stash_scene_id").cast("long").alias("scene"), F.col("id").cast("long"), "embedding")
+    return rows.repartition("scene").sortWithinPartitions("scene", "id").mapInArrow(fold, "scene long, mean array<double>")
 
 
 @q.add("j14_scenes_to_rematch", f"with us as {_USABLE}, r as (select distinct id, stash_scene_id from scene_face_embeddings where stash_scene_id is not null), ex as (select stash_scene_id s, k, avg(x) x from (select r.stash_scene_id, unnest(v::double[]) x, generate_subscripts(v::double[], 1) k from us join r using (id)) group by all), ce as (select s, list(x order by k)::double[128] m from ex group by 1), ch as (select distinct us.id, us.v from us join performer_match p on p.matched_face_id = us.id where p.matched_at >= timestamp '2024-12-15') select distinct s as scene from ce join ch on round(1 - array_cosine_similarity(ce.m, ch.v), 9) <= 0.42")
 def _(t):
     """Scenes whose mean face lies within 0.42 of a face matched since; the changed side is searched in blocks."""
     new = t("performer_match").where(F.col("matched_at") >= F.lit("2024-12-15").cast("timestamp_ntz")).select(F.col("matched_face_id").alias("id")).distinct()
-    changed = usable(t).join(new, "id", "left_semi").select("id", F.col("embedding").cast("array<double>").alias("v"))
-    return vectors.search(changed, centroids(t).select("scene", F.col("mean").alias("v")), "id", "scene", "v", within=0.42).select(F.col("index_id").alias("scene")).distinct()
+    faces = t("scene_face_embeddings").select("id", "embedding").join(F.broadcast(new), "id", "left_semi")  # ids only: else all vectors are shuffled
+    changed = usable(lambda _: faces).select("id", F.col("embedding").cast("array<double>").alias("v"))
+    means = materialise(centroids(t).select("scene", F.col("mean").alias("v")), "means")
+    return vectors.near_any(changed, means, "id", "scene", "v", within=0.42).withColumnRenamed("index_id", "scene")
 
 
 QUERIES, SQL = q.QUERIES, q.SQL

@@ -11,6 +11,7 @@ from cataloom.functions import scalars as S
 from cataloom.operators import scoring, state, vectors
 from cataloom.operators.ordered import gaps, with_positions
 from cataloom.operators.quantiles import exclusive_quantile
+from cataloom.plans import duplicate_queries
 from cataloom.sources import files
 from cataloom.streaming import incremental
 
@@ -167,6 +168,27 @@ def test_hamming_pieces_lie_in_the_bits_used(spark):
     assert got == {(i, j, (h[i] ^ h[j]).bit_count()) for i in range(len(h)) for j in range(i + 1, len(h)) if (h[i] ^ h[j]).bit_count() <= 2}
 
 
+def test_rows_near_any_query(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ANY_BLOCK", 40)
+    monkeypatch.setattr(vectors, "ANY_ROWS", 16)
+    rng = np.random.RandomState(6)
+    x, y = rng.randn(90, 8), np.concatenate([rng.randn(200, 8), np.zeros((1, 8))])
+    a, b = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(999, None), (998, [1.0]), (997, [float("nan")] * 8)], "id long, v array<double>") for m in (x, y))
+    d = np.round(1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y[:200] / np.linalg.norm(y[:200], axis=1, keepdims=True)).T, 9)
+    for within in (0.2, float(np.sort(d.ravel())[60])):
+        got = [r["index_id"] for r in vectors.near_any(a, b.union(b), "id", "id", "v", within).collect()]
+        assert sorted(got) == sorted(np.nonzero((d <= within).any(0))[0].tolist() + [998])
+
+
+def test_mean_faces_without_a_row_for_each_number(spark):
+    v = lambda *x: [float(i) for i in x] + [0.0] * (128 - len(x))
+    rows = [(1, 5, v(1)), (1, 5, v(1)), (2, 5, v(0, 3)), (2, 6, v(0, 3)), (3, 6, None), (4, 6, v(0)), (5, 7, [1.0]), (6, None, v(1)), (7, 6, [None] + v(1)[1:])]
+    df = spark.createDataFrame(rows, "id long, stash_scene_id long, embedding array<float>")
+    out = duplicate_queries.centroids(lambda _: df)
+    assert {r["scene"]: r["mean"][:2] for r in out.collect()} == {5: [0.5, 1.5], 6: [0.0, 3.0]}
+    assert "Generate" not in out._jdf.queryExecution().toString()  # a row for each number filled the disk
+
+
 def test_online_clusters(spark):
     rows = [(1, 2, 0, [1.0, 0.0]), (1, 1, 1, [0.9, 0.1]), (1, 3, 2, [0.0, 1.0]), (1, 4, 3, None), (2, 9, 0, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "g long, id long, f int, v array<double>")
